@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid
+from . import bpe, langid, media
 
 QUERIES = {
     "op1_langid_compression": langid.op1,
+    "op5_png_media": media.op5,
+    "op7_byte_bpe": bpe.op7,
 }
 
 ORACLES: dict[str, str] = {}
