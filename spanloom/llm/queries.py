@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, media
+from . import bpe, langid, licenses, media
 
 QUERIES = {
     "op1_langid_compression": langid.op1,
+    "op3_license_templates": licenses.op3,
     "op5_png_media": media.op5,
     "op7_byte_bpe": bpe.op7,
 }
