@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, licenses, media
+from . import bpe, langid, licenses, media, simhash
 
 QUERIES = {
     "op1_langid_compression": langid.op1,
     "op3_license_templates": licenses.op3,
     "op5_png_media": media.op5,
     "op7_byte_bpe": bpe.op7,
+    "op8_simhash_bitsliced": simhash.op8,
 }
 
 ORACLES: dict[str, str] = {}
