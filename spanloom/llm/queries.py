@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, licenses, media, simhash
+from . import bpe, chat, langid, licenses, media, mixing, simhash
 
 QUERIES = {
     "op1_langid_compression": langid.op1,
     "op3_license_templates": licenses.op3,
     "op5_png_media": media.op5,
+    "op6_sainte_lague_mix": mixing.op6,
     "op7_byte_bpe": bpe.op7,
     "op8_simhash_bitsliced": simhash.op8,
+    "op9_chat_windows": chat.op9,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_chat_windows": chat.OP9_SQL,
+}
