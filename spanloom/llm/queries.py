@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, licenses, media, mixing, simhash
+from . import bpe, chat, langid, licenses, media, mixing, simhash, substrings
 
 QUERIES = {
     "op1_langid_compression": langid.op1,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_byte_bpe": bpe.op7,
     "op8_simhash_bitsliced": simhash.op8,
     "op9_chat_windows": chat.op9,
+    "op10_substring_index": substrings.op10,
 }
 
 ORACLES: dict[str, str] = {
