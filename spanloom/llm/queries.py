@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, licenses, media, mixing, simhash, substrings
+from . import bpe, chat, langid, licenses, lines, media, mixing, simhash, substrings
 
 QUERIES = {
     "op1_langid_compression": langid.op1,
     "op3_license_templates": licenses.op3,
+    "op4_fuzzy_lines": lines.op4,
     "op5_png_media": media.op5,
     "op6_sainte_lague_mix": mixing.op6,
     "op7_byte_bpe": bpe.op7,
