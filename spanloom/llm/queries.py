@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, langid, licenses, lines, media, mixing, simhash, substrings
+from . import bpe, chat, langid, licenses, lines, media, mixing, simhash, substrings, vectors
 
 QUERIES = {
     "op1_langid_compression": langid.op1,
+    "op2_subspace_join": vectors.op2,
     "op3_license_templates": licenses.op3,
     "op4_fuzzy_lines": lines.op4,
     "op5_png_media": media.op5,
