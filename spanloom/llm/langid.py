@@ -14,6 +14,7 @@ is ``und``. Only the id, text and label columns are read.
 
 from __future__ import annotations
 
+import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ LEVEL, SHORT_LEVEL, BLOCK, SHORT = 5, 12, 4096, 200
 #: A prediction is rejected when 1 - best/second is below this.
 MIN_MARGIN = 0.002
 
+#: Put before short pieces: a run that compresses, else zstandard stores them as they are.
+_PAD = bytes(96)
 _TO_SPACE = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
@@ -109,7 +112,7 @@ class Classifier:
         if len(folded) > SHORT:
             pieces, compressors = [folded[i : i + BLOCK] for i in range(0, len(folded), BLOCK)], self.compressors
         else:
-            pieces, compressors = [folded[m:] for m in range(len(folded) - 1) if folded[m] == 32], self.short
+            pieces, compressors = [_PAD + folded[m:] for m in range(len(folded) - 1) if folded[m] == 32], self.short
         return [sum(len(c.compress(p)) for p in pieces) for c in compressors]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
@@ -119,6 +122,10 @@ class Classifier:
         order = sorted(zip(self.sizes(folded), self.labels))
         if len(order) == 1:
             return order[0][1], 1.0, True
+        if order[0][0] >= (1.0 - self.min_margin) * order[1][0]:  # narrow: the sizes under all compressors decide
+            pieces = [folded[m : m + BLOCK] for m in range(0, len(folded), BLOCK)] + [_PAD + folded[m : m + 64] for m in range(0, len(folded), 64)]
+            finer = [size + sum(len(c.compress(p)) for p in pieces for c in (a, b)) for size, a, b in zip(self.sizes(folded), self.compressors, self.short)]
+            order = sorted(zip(finer, self.labels))
         score = 1.0 - order[0][0] / order[1][0]
         return order[0][1], score, score >= self.min_margin
 
@@ -140,6 +147,19 @@ def identify(
     return map_texts(docs, id_col, text_col, "lang_pred string, score double, accepted boolean", setup)
 
 
+def accepted(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows whose prediction is accepted, with all their columns. A narrow filter over whole rows."""
+    position = docs.columns.index(text_col)
+
+    def run(batches):
+        classifier = Classifier(dictionaries, min_margin)
+        for batch in batches:
+            texts = batch.column(position).to_pylist()
+            yield batch.filter(pa.array([classifier.predict(t)[2] for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def fold_of(id_col: str = "doc_id") -> Column:
     """crc32 of the id's text modulo 4; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4

@@ -100,7 +100,7 @@ def mix(
     shard_rows: int = SHARD_ROWS,
     seed: int = 7,
 ) -> DataFrame:
-    """Per row: id, source, size, source_size, target, taken (words, repeats counted), copies (whole times)."""
+    """Per row: id, source, size, source_size, target, taken (words, repeats counted), copies (whole times, 0 to ``most``)."""
     sized = docs.select(
         F.col(id_col).alias("_id"),
         F.col(source_col).alias("source"),
@@ -147,14 +147,20 @@ def mix(
     taken = laid.join(first, ["_sid", "_shard", "_b1"], "left").join(last, ["_sid", "_shard", "_b2"], "left")
     upto = lambda p, t, at, b: F.col(p) + F.col(t) * (F.col(at) - F.col(b) * F.col("_block"))
     amount = F.when(F.col("size") > 0, upto("_p2", "_t2", "_end", "_b2") - upto("_p1", "_t1", "_begin", "_b1")).otherwise(F.lit(0))
+    # Whole copies: the share rounded by a seeded draw, so that its expectation is kept.
+    draw = F.pmod(F.xxhash64("_id", "_h2", F.lit(seed + 1)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    taken = taken.withColumn("_taken", F.coalesce(amount, F.lit(0)).cast("long")).withColumn(
+        "copies", F.when(F.col("size") > 0, F.floor(F.col("_taken") / F.col("size") + draw)).otherwise(0).cast("long")
+    )
     return taken.select(
         F.col("_id").alias(id_col),
         "source",
         "size",
         "source_size",
         "target",
-        F.coalesce(amount, F.lit(0)).cast("long").alias("taken"),
-    ).withColumn("copies", F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("long"))
+        F.col("_taken").alias("taken"),
+        "copies",
+    )
 
 
 def _quotas(parties: DataFrame, votes: str, seats: str, group, order, keys: list[str], most_blocks) -> DataFrame:
