@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,6 +51,25 @@ def as_bytes(column: str | Column) -> Column:
     return F.col(column).cast("binary") if isinstance(column, str) else column.cast("binary")
 
 
+#: Rows of a batch that a worker unpacks at a time.
+SLICE = 1000
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in pieces of SLICE rows, so that a worker holds few unpacked texts."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, SLICE):
+            yield batch.slice(low, SLICE)
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system: idle workers stay beside the next stage's tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_texts(
     df: DataFrame,
     id_col: str,
@@ -72,11 +94,12 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = setup()
-        for batch in batches:
-            columns = work(batch.column(1).to_pylist())
+        for part in slices(batches):
+            columns = work(part.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, type=t) for c, t in zip(columns, arrow_types))],
+                [part.column(0), *(pa.array(c, type=t) for c, t in zip(columns, arrow_types))],
                 names=full.names,
             )
+        give_back()
 
     return source.mapInArrow(run, full).withColumnRenamed("_id", id_col)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import map_texts
+from .common import give_back, map_texts, slices
 
 UNKNOWN = "und"
 #: Bounds of the fitting sample: texts a language, bytes taken of each, bytes of a dictionary.
@@ -153,9 +153,10 @@ def accepted(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
 
     def run(batches):
         classifier = Classifier(dictionaries, min_margin)
-        for batch in batches:
-            texts = batch.column(position).to_pylist()
-            yield batch.filter(pa.array([classifier.predict(t)[2] for t in texts], pa.bool_()))
+        for part in slices(batches):
+            texts = part.column(position).to_pylist()
+            yield part.filter(pa.array([classifier.predict(t)[2] for t in texts], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
