@@ -18,5 +18,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_subspace_join": vectors.OP2_SQL,
     "op9_chat_windows": chat.OP9_SQL,
+    "op10_substring_index": substrings.OP10_SQL,
 }

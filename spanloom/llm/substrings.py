@@ -362,3 +362,21 @@ def kept_texts(docs: DataFrame, **options) -> DataFrame:
 def op10(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return deduplicate(docs, "n_words long, n_removed long, kept_sha256 string", _digest)
+
+
+OP10_SQL = f"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0b\\f\\r]+') AS w FROM documents),
+windows AS (
+  SELECT doc_id, p, array_to_string(list_slice(w, p + 1, p + {WINDOW}), ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(len(w) - {WINDOW - 1})) AS p FROM words WHERE len(w) >= {WINDOW})),
+firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(p, p + {WINDOW})) AS p
+  FROM windows JOIN firsts USING (s) WHERE first < doc_id),
+places AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM words),
+kept AS (
+  SELECT doc_id, count(g.p) AS n_removed, sha256(coalesce(string_agg(CASE WHEN g.p IS NULL THEN word END, ' ' ORDER BY p), '')) AS kept_sha256
+  FROM places LEFT JOIN gone g USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+"""
