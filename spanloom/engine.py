@@ -8,14 +8,12 @@ from pyspark.sql import functions as F
 from spanloom.lang.ast import Choice, Look, Pattern, PatternError, Token, has_path
 from spanloom.lang.parser import parse
 from spanloom.operators import results
+from spanloom.operators.stats import corpus_stats
 from spanloom.plans.path import path_matches
 from spanloom.plans.predicate import Layers
-from spanloom.plans.symbols import MATCH, mandatory, materialise, prefilter, sequence_matches
+from spanloom.plans.symbols import MATCH, mandatory, prefilter, sequence_matches, token_matches
 from spanloom.sources.schema import KEYS, SchemaConfig, token_layers
 
-EMPTY = F.array  # kept as a function: a column needs a session
-
-
 class Engine:
     """Compiles query texts to DataFrames of scored sentences with matched spans.
 
@@ -62,9 +60,7 @@ class Engine:
         if has_path(p):
             return path_matches(needed, p, self.layers, "matches")
         if isinstance(p, Token):
-            # One place: no coding needed.
-            self.layers.check(p.constraint)
-            return path_matches_single(prefilter(needed, [p.constraint], self.layers), p, self.layers)
+            return token_matches(prefilter(needed, [p.constraint], self.layers), p, self.layers, "matches")
         return sequence_matches(prefilter(needed, mandatory(p), self.layers), p, self.layers, "matches", overlap)
 
     def _assertion(self, p: Look) -> DataFrame:
@@ -86,14 +82,4 @@ class Engine:
         return results.response(self, query, limit)
 
     def stats(self) -> DataFrame:
-        from spanloom.operators.stats import corpus_stats
-
         return corpus_stats(self.sentences)
-
-
-def path_matches_single(df: DataFrame, p: Token, layers: Layers) -> DataFrame:
-    from spanloom.plans.predicate import token_test
-
-    n = F.col("sentence_length").cast("int")
-    places = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: token_test(p.constraint, layers, i))).otherwise(F.array().cast("array<int>"))
-    return materialise(df, "matches", F.transform(places, lambda i: F.struct(i.alias("start"), (i + 1).alias("end"), F.array().alias("captures")).cast(MATCH)))

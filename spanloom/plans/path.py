@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from spanloom.lang.ast import Capture, Edge, EitherStep, Path, Pattern, PatternError, RepeatStep, Sequence, Stay, Step, Steps, Token, has_path, sequence
 
-from .predicate import Layers, token_test, value_test
-from .symbols import MATCH, all_starts, mandatory, materialise, prefilter
+from .predicate import Layers, value_test
+from .symbols import MATCH, all_starts, mandatory, materialise, prefilter, token_matches
 
 _PAIRS = "array<struct<a:int,b:int>>"
 
@@ -120,11 +120,7 @@ def path_matches(df: DataFrame, p: Pattern, layers: Layers, name: str) -> DataFr
     for k, s in enumerate(segments):
         helpers.append(f"{name}_s{k}")
         if isinstance(s, Token):
-            layers.check(s.constraint)
-            n = F.col("sentence_length").cast("int")
-            places = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: token_test(s.constraint, layers, i))).otherwise(F.array().cast("array<int>"))
-            spans = F.transform(places, lambda i: F.struct(i.alias("start"), (i + 1).alias("end"), F.array().alias("captures")).cast(MATCH))
-            df = materialise(df, helpers[-1], spans)
+            df = token_matches(df, s, layers, helpers[-1])
         else:
             df = all_starts(df, s, layers, helpers[-1])
         df = df.where(F.size(helpers[-1]) > 0)

@@ -168,6 +168,14 @@ def all_starts(df: DataFrame, p: Pattern, layers: Layers, name: str) -> DataFram
     return materialise(df, name, whole).drop(f"{name}_sym", f"{name}_raw")
 
 
+def token_matches(df: DataFrame, p: Token, layers: Layers, name: str) -> DataFrame:
+    """Adds ``name``: a match for each token that satisfies a lone constraint. No coding is needed."""
+    layers.check(p.constraint)
+    n = F.col("sentence_length").cast("int")
+    places = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: token_test(p.constraint, layers, i))).otherwise(F.array().cast("array<int>"))
+    return materialise(df, name, F.transform(places, lambda i: F.struct(i.alias("start"), (i + 1).alias("end"), F.array().alias("captures")).cast(MATCH)))
+
+
 def select_greedy(spans: Column) -> Column:
     """Of two overlapping spans the longer survives; equal lengths both do. Spans come in order of starts."""
     length = lambda s: s["end"] - s["start"]
