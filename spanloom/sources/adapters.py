@@ -14,22 +14,20 @@ def _no_empty(pieces: Column) -> Column:
 
 def synthetic(rows: DataFrame) -> DataFrame:
     """Adds layers and the synthetic tree to rows (doc_id, sentence_idx, word): token p >= 1 hangs on (p - 1) div 2 under ``dep{p mod 4}``."""
-    norm = F.transform("word", lambda t: F.lower(t))
-    rows = rows.where(F.size("word") > 0).select("*", F.explode(F.array(norm)).alias("norm"))
-    lemma = F.transform("norm", lambda t: F.regexp_replace(t, r"[.,;:!?]+\z", ""))
-    rows = rows.select("*", F.explode(F.array(lemma)).alias("lemma"))
+    # Each layer comes from the words alone, so that a query computes the layers it reads and no others.
+    lemma_of = lambda t: F.regexp_replace(F.lower(t), r"[.,;:!?]+\z", "")
+    rows = rows.where(F.size("word") > 0)
 
-    def tag(t: Column, i: Column) -> Column:
+    def tag(t: Column) -> Column:
         return (
             F.when(t.rlike(r"\A[0-9]"), "CD")
             .when(t.rlike(r"\A[A-Z]"), "UP")
             .when(t.rlike(r"\A[\x00-\x7F]*\z") & ~t.rlike("[A-Za-z0-9]"), "PUNCT")
-            .when(F.get("lemma", i).endswith("ing"), "ING")
+            .when(lemma_of(t).endswith("ing"), "ING")
             .otherwise("LOW")
         )
 
-    rows = rows.select("*", F.explode(F.array(F.transform("word", tag))).alias("tag"))
-    entity = F.transform("tag", lambda t, i: F.when((t == "UP") & (i > 0), "B-CAP").otherwise("O"))
+    entity = F.transform("word", lambda t, i: F.when(t.rlike(r"\A[A-Z]") & (i > 0), "B-CAP").otherwise("O"))
     n = F.size("word")
     tree = F.when(
         n > 1,
@@ -44,9 +42,9 @@ def synthetic(rows: DataFrame) -> DataFrame:
         F.col("sentence_idx").cast("int").alias("sentence_idx"),
         n.cast("long").alias("sentence_length"),
         "word",
-        "norm",
-        "lemma",
-        "tag",
+        F.transform("word", lambda t: F.lower(t)).alias("norm"),
+        F.transform("word", lemma_of).alias("lemma"),
+        F.transform("word", tag).alias("tag"),
         entity.alias("entity"),
         tree.cast(DEPS).alias("deps"),
         F.array(F.lit(0)).alias("roots"),
