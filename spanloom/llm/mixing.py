@@ -2,10 +2,11 @@
 
 Sizes are words. Targets: sources share ``share`` times all sizes by weight,
 none above ``most`` times its own size (the excess is shared again by weight; in closed
-form, the level at which the capped sum equals the total). The total is cut into
-N equal blocks; sources get integer quotas by the N highest quotients
-target / (2k + 1), and each source's quota is apportioned in the same way over
-its shards (documents by seeded hash). In a shard the documents lie in seeded
+form, the level at which the capped sum equals the total). The N words of the total are
+apportioned: sources get integer quotas by the N highest quotients
+target / (2k + 1). Each source is cut into equal blocks of its own, of a thousandth of
+its target and ``BLOCK`` words at most, so that small sources are cut finely beside any other; its quota
+in blocks is apportioned in the same way over its shards (documents by seeded hash). In a shard the documents lie in seeded
 order on a line of words that is cut into blocks; every block is taken as often
 as the quota allows evenly, and the rest are the blocks of lowest seeded hash. A
 document's share is the sum of its overlaps with taken blocks.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import WORD, cut
 
 SHARE, MOST = 1.5, 2
-#: Words of a block at most, blocks of a source on average at least, and documents of a shard.
+#: Words of a block at most, blocks in each source's target at least (or its single words), and documents of a shard.
 BLOCK, SOURCE_BLOCKS, SHARD_ROWS = 2048, 1000, 20_000
 
 
@@ -111,13 +112,13 @@ def mix(
     sized = cut(sized)
     sources = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows")), share, most)
     sources = cut(sources.withColumn("_sid", F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary")))))
-    # Blocks of equal words in all; quotas of blocks by source.
+    # Quotas of words by source, in blocks that follow the source's own target.
     all_sources = Window.partitionBy("_all")
-    equal = F.floor(F.sum("target").over(all_sources) / (F.count("*").over(all_sources) * SOURCE_BLOCKS))
-    by_source = sources.withColumn("_all", F.lit(1)).withColumn("_block", F.least(F.lit(block), F.greatest(F.lit(1), equal)).cast("long"))
-    by_source = by_source.withColumn("_seats", F.floor(F.sum("target").over(all_sources) / F.col("_block") + 0.5).cast("long"))
+    by_source = sources.withColumn("_all", F.lit(1)).withColumn("_seats", F.floor(F.sum("target").over(all_sources) + 0.5).cast("long"))
     by_source = _quotas(by_source, "target", "_seats", ["_all"], [F.col("_sid")], ["_sid"], most_blocks=None)
-    by_source = cut(by_source.select("_sid", "source", "source_size", "rows", "target", "_block", F.col("quota").alias("source_quota")))
+    by_source = by_source.withColumn("_block", F.least(F.lit(block), F.greatest(F.lit(1), F.floor(F.col("target") / SOURCE_BLOCKS))).cast("long"))
+    source_quota = F.floor(F.col("quota") / F.col("_block") + 0.5).cast("long")
+    by_source = cut(by_source.select("_sid", "source", "source_size", "rows", "target", "_block", source_quota.alias("source_quota")))
     # Shards by seeded hash, as many as the source's rows need.
     shards = F.greatest(F.lit(1), F.ceil(F.col("rows") / shard_rows)).cast("long")
     placed = sized.join(by_source, sized["source"].eqNullSafe(by_source["source"])).drop(by_source["source"])

@@ -53,6 +53,18 @@ def test_mix(spark):
     assert all(r.source_size == sizes[r.source] for r in got)
 
 
+def test_tiny_sources_beside_a_large_one(spark):
+    """The large source makes the mean target over 2.05M words, so that blocks of 2,048 words are in force."""
+    tiny = {"t0300": 300, "t0500": 500, "t1000": 1000, "t1400": 1400, "t2500": 2500, "t5000": 5000}
+    rows = [(1000 * k + i, " ".join(["w"] * 20), s) for k, (s, n) in enumerate(tiny.items()) for i in range(n // 20)]
+    large = spark.range(10_000, 10_240).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), 50_000).alias("text"), F.lit("big").alias("source"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").unionByName(large)
+    got = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(got) == 7 and sum(r.target for r in got) / 7 > 2048 * mixing.SOURCE_BLOCKS
+    for r in got:
+        assert abs(r.taken - r.target) <= max(2, 0.005 * r.target), r
+
+
 def test_reruns_agree(spark):
     docs = frame(spark, 2)
     key = lambda df: sorted((str(r.doc_id), r.size, r.taken, r.copies) for r in df.collect())
