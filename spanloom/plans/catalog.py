@@ -43,15 +43,6 @@ raw AS (SELECT user_id::VARCHAR AS doc_id, user_id::VARCHAR || '_0' AS sentence_
   (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS p FROM events),
 tok AS (SELECT * FROM raw)
 """
-ORDERS = """
-raw AS (SELECT o_orderkey::VARCHAR AS doc_id, o_orderkey::VARCHAR || '_0' AS sentence_id, 0::INT AS sentence_idx, 0::INT AS p, o_orderstatus AS word
-  FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
-  UNION ALL SELECT l_orderkey::VARCHAR, l_orderkey::VARCHAR || '_0', 0::INT,
-    (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag))::INT, l_returnflag
-  FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
-tok AS (SELECT * FROM raw),
-dep AS (SELECT sentence_id, 0 AS src, p AS dst, lower(word) AS label FROM raw WHERE p > 0)
-"""
 _SPAN = "doc_id, sentence_id, sentence_idx"
 
 
@@ -162,7 +153,13 @@ spans(
 spans(
     "seq_noun_phrase",
     "[word=the]? [tag=ING]* [tag=UP]+",
-    None,
+    # Runs of UP, the run of ING before each, and a word before that.
+    f""", runs AS (SELECT *, max(CASE WHEN tag <> 'ING' THEN p END) OVER (PARTITION BY sentence_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS q,
+    lag(tag) OVER (PARTITION BY sentence_id ORDER BY p) AS tag_before, p - sum((tag = 'UP')::INT) OVER (PARTITION BY sentence_id ORDER BY p) AS island FROM tok),
+  ends AS (SELECT sentence_id, island, max(p) + 1 AS match_end FROM runs WHERE tag = 'UP' GROUP BY ALL)
+  SELECT a.doc_id, a.sentence_id, a.sentence_idx, (CASE WHEN z.word = 'the' THEN a.q ELSE coalesce(a.q + 1, 0) END)::INT AS match_start, e.match_end
+  FROM runs a JOIN ends e ON e.sentence_id = a.sentence_id AND e.island = a.island LEFT JOIN tok z ON z.sentence_id = a.sentence_id AND z.p = a.q
+  WHERE a.tag = 'UP' AND a.tag_before IS DISTINCT FROM 'UP'""",
 )
 spans("look_ahead_pos", "[word=the] (?= [tag=ING])", f"{_LAG} SELECT {_SPAN}, p AS match_start, p + 1 AS match_end FROM near WHERE word = 'the' AND tag_after = 'ING'")
 spans("look_ahead_neg", "[word=the] (?! [tag=LOW])", f"{_LAG} SELECT {_SPAN}, p AS match_start, p + 1 AS match_end FROM near WHERE word = 'the' AND tag_after IS DISTINCT FROM 'LOW'")
@@ -232,7 +229,14 @@ captures(
     f", found AS (SELECT a.doc_id, a.sentence_id, a.sentence_idx, a.p AS s, b.p AS t {_OUT} WHERE e.label = 'dep1' AND a.tag = 'UP' AND b.tag = 'ING') SELECT {_SPAN}, least(s, t) AS match_start, 'c0' AS name, s AS capture_start, s + 1 AS capture_end FROM found UNION ALL SELECT {_SPAN}, least(s, t), 'c1', t, t + 1 FROM found UNION ALL SELECT {_SPAN}, least(s, t), 'head', s, s + 1 FROM found",
 )
 spans("graph_alternation", "[word=the] >dep1 [tag=ING] | [word=of] >dep2 [tag=UP]", f"SELECT {_PATH} {_OUT} WHERE (e.label = 'dep1' AND a.word = 'the' AND b.tag = 'ING') OR (e.label = 'dep2' AND a.word = 'of' AND b.tag = 'UP')")
-spans("star_graph", "[word=O] >r [word=R]", f"SELECT {_PATH} {_OUT} WHERE e.label = 'r' AND a.word = 'O'", adapters.orders, ORDERS)
+spans(
+    "star_graph",
+    "[word=O] >r [word=R]",
+    f"SELECT {_SPAN}, 0::INT AS match_start, p + 1 AS match_end FROM items JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'O' AND l_returnflag = 'R'",
+    adapters.orders,
+    """items AS (SELECT l_orderkey, l_returnflag, l_orderkey::VARCHAR AS doc_id, l_orderkey::VARCHAR || '_0' AS sentence_id, 0::INT AS sentence_idx,
+  (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag))::INT AS p FROM lineitem)""",
+)
 add(
     "graph_exists",
     lambda spark, sf_dir: _engine(spark, sf_dir).hits("[word=the] >dep1 [word=of]").select(*KEY),

@@ -10,12 +10,15 @@ separate paths; a node may occur several times on a path.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.lang.ast import Capture, Edge, EitherStep, Path, Pattern, PatternError, RepeatStep, Sequence, Stay, Step, Steps, Token, has_path, sequence
 
-from .predicate import Layers, value_test
+from .predicate import Layers, token_test, value_test
 from .symbols import MATCH, all_starts, mandatory, materialise, prefilter, token_matches
 
 _PAIRS = "array<struct<a:int,b:int>>"
@@ -41,6 +44,55 @@ def flatten(p: Pattern) -> tuple[list[Pattern], list[Step]]:
     return [p], []
 
 
+def _label_test(label, value: Column) -> Column:
+    return F.coalesce(value_test(label, value), F.lit(False))
+
+
+def _labels(step: Step) -> list:
+    """Tests of labels of which one holds for some edge wherever the step is taken; empty: no such test."""
+    match step:
+        case Edge(_, label) if label is not None:
+            return [label]
+        case EitherStep(parts):
+            each = [_labels(p) for p in parts]
+            return [x for found in each for x in found] if all(each) else []
+        case Steps(parts):
+            return next((found for p in parts if (found := _labels(p))), [])
+        case RepeatStep(inner, low, _) if low > 0:
+            return _labels(inner)
+    return []
+
+
+def _edges(step: Step) -> list[Edge]:
+    """The edges of which a step takes one; empty for a step of any other kind."""
+    match step:
+        case Edge():
+            return [step]
+        case EitherStep(parts):
+            each = [_edges(p) for p in parts]
+            return [e for found in each for e in found] if all(each) else []
+    return []
+
+
+def _direct_pairs(edges: list[Edge], leaves: Column, arrives: Column, deps: Column) -> Column:
+    """(from, to) of the edges from a place that fits to one that fits: one pass, places are looked up by number."""
+    parts = []
+    for e in edges:
+        near, far = ("src", "dst") if e.direction == "out" else ("dst", "src")
+
+        def fits(x: Column) -> Column:
+            ends = F.get(leaves, x[near]) & F.get(arrives, x[far])
+            return F.coalesce(ends if e.label is None else _label_test(e.label, x["label"]) & ends, F.lit(False))
+
+        parts.append(F.transform(F.filter(deps, fits), lambda x: F.struct(x[near].alias("a"), x[far].alias("b"))).cast(_PAIRS))
+    return F.concat(*parts)
+
+
+def _place(i: Column) -> Column:
+    """The span of one token."""
+    return F.struct(i.alias("start"), (i + 1).alias("end"), F.array().alias("captures")).cast(MATCH)
+
+
 def _compose(first: Column, second: Column) -> Column:
     return F.flatten(F.transform(first, lambda x: F.transform(F.filter(second, lambda y: y["a"] == x["b"]), lambda y: F.struct(x["a"].alias("a"), y["b"].alias("b")))))
 
@@ -52,7 +104,7 @@ def step_pairs(step: Step, sources: Column, deps: Column) -> Column:
             return F.transform(sources, lambda s: F.struct(s.alias("a"), s.alias("b"))).cast(_PAIRS)
         case Edge(direction, label):
             near, far = ("src", "dst") if direction == "out" else ("dst", "src")
-            labelled = deps if label is None else F.filter(deps, lambda e: F.coalesce(value_test(label, e["label"]), F.lit(False)))
+            labelled = deps if label is None else F.filter(deps, lambda e: _label_test(label, e["label"]))
             leaving = F.filter(labelled, lambda e: F.array_contains(sources, e[near]))
             return F.transform(leaving, lambda e: F.struct(e[near].alias("a"), e[far].alias("b"))).cast(_PAIRS)
         case EitherStep(parts):
@@ -92,6 +144,15 @@ def _closure(inner: Step, low: int, high: int | None, sources: Column, deps: Col
     return F.aggregate(rounds, begin, turn)["seen"]
 
 
+def _extend_by_tokens(paths: Column, pairs: Column) -> Column:
+    """As ``_extend``, where each arrival is a span of its own."""
+
+    def leave(x: Column) -> Column:
+        return F.transform(F.filter(pairs, lambda e: e["a"] == x["at"]), lambda e: F.struct(e["b"].alias("at"), F.concat(x["spans"], F.array(_place(e["b"]))).alias("spans")))
+
+    return F.flatten(F.transform(paths, leave))
+
+
 def _extend(paths: Column, pairs: Column, target: Column) -> Column:
     """Each path once for each pair that leaves its place, with the target's span that begins at the arrival."""
 
@@ -116,29 +177,55 @@ def path_matches(df: DataFrame, p: Pattern, layers: Layers, name: str) -> DataFr
     df = prefilter(df, [c for s in segments for c in mandatory(s)], layers)
     if not all(isinstance(s, RepeatStep) and s.low == 0 or isinstance(s, Stay) for s in steps):
         df = df.where(F.size("deps") > 0)
-    helpers = []
+    for step in steps:
+        if labels := _labels(step):
+            df = df.where(F.exists("deps", lambda e: reduce(or_, [_label_test(x, e["label"]) for x in labels])))
+    # Between lone tokens an edge is tested at both ends by place, so only other segments need their spans listed.
+    direct = [bool(_edges(step)) and isinstance(segments[k], Token) and isinstance(segments[k + 1], Token) for k, step in enumerate(steps)]
+    helpers, n = [], F.col("sentence_length").cast("int")
     for k, s in enumerate(segments):
-        helpers.append(f"{name}_s{k}")
-        if isinstance(s, Token):
-            df = token_matches(df, s, layers, helpers[-1])
-        else:
-            df = all_starts(df, s, layers, helpers[-1])
-        df = df.where(F.size(helpers[-1]) > 0)
+        around = direct[max(0, k - 1) : k + 1]
+        if isinstance(s, Token) and any(around):
+            layers.check(s.constraint)
+            helpers.append(f"{name}_t{k}")
+            places = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: token_test(s.constraint, layers, i))).otherwise(F.array().cast("array<boolean>"))
+            df = materialise(df, helpers[-1], places).where(F.array_contains(helpers[-1], True))
+        if not all(around) or not around:
+            helpers.append(f"{name}_s{k}")
+            if isinstance(s, Token):
+                df = token_matches(df, s, layers, helpers[-1])
+            else:
+                df = all_starts(df, s, layers, helpers[-1])
+            df = df.where(F.size(helpers[-1]) > 0)
+    # Edges of direct steps first: they say cheaply whether there is any path.
+    for k, step in enumerate(steps):
+        if direct[k]:
+            helpers.append(f"{name}_e{k}")
+            df = materialise(df, helpers[-1], _direct_pairs(_edges(step), F.col(f"{name}_t{k}"), F.col(f"{name}_t{k + 1}"), F.col("deps")))
+            df = df.where(F.size(helpers[-1]) > 0)
     # Paths so far: the place they have come to, and the spans on the way.
     def begin(s: Column) -> Column:
         return F.struct((s["end"] - 1).alias("at"), F.array(s).alias("spans"))
 
-    df = materialise(df, f"{name}_p0", F.transform(helpers[0], begin))
-    helpers.append(f"{name}_p0")
+    if not (direct and direct[0]):
+        df = materialise(df, f"{name}_p0", F.transform(f"{name}_s0", begin))
+        helpers.append(f"{name}_p0")
     for k, step in enumerate(steps):
-        before, target = f"{name}_p{k}", F.col(f"{name}_s{k + 1}")
-        sources = F.array_distinct(F.transform(before, lambda x: x["at"]))
-        arrivals = F.transform(target, lambda s: s["start"])
-        pairs = F.filter(step_pairs(step, sources, F.col("deps")), lambda e: F.array_contains(arrivals, e["b"]))
-        df = materialise(df, f"{name}_e{k}", pairs)
-
-        df = materialise(df, f"{name}_p{k + 1}", _extend(F.col(before), F.col(f"{name}_e{k}"), target))
-        helpers += [f"{name}_e{k}", f"{name}_p{k + 1}"]
+        before, pairs = f"{name}_p{k}", F.col(f"{name}_e{k}")
+        helpers.append(f"{name}_p{k + 1}")
+        if direct[k] and k == 0:
+            after = F.transform(pairs, lambda e: F.struct(e["b"].alias("at"), F.array(_place(e["a"]), _place(e["b"])).alias("spans")))
+        elif direct[k]:
+            after = _extend_by_tokens(F.col(before), pairs)
+        else:
+            target = F.col(f"{name}_s{k + 1}")
+            helpers += [f"{name}_e{k}", f"{name}_f{k}", f"{name}_g{k}"]
+            df = materialise(df, f"{name}_f{k}", F.array_distinct(F.transform(before, lambda x: x["at"])))
+            df = materialise(df, f"{name}_g{k}", F.transform(target, lambda s: s["start"]))
+            found = F.filter(step_pairs(step, F.col(f"{name}_f{k}"), F.col("deps")), lambda e: F.array_contains(f"{name}_g{k}", e["b"]))
+            df = materialise(df, f"{name}_e{k}", found)
+            after = _extend(F.col(before), pairs, target)
+        df = materialise(df, f"{name}_p{k + 1}", after)
         df = df.where(F.size(f"{name}_p{k + 1}") > 0)
 
     def finish(x: Column) -> Column:

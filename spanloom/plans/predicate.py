@@ -73,8 +73,6 @@ def sentence_test(c: Constraint, layers: Layers) -> Column | None:
             return F.array_contains(layers.layer(field), value)
         case Matches() if c.literal is not None:
             return F.array_contains(layers.layer(c.field), c.literal)
-        case Matches(field) | Contains(field):
-            return F.exists(layers.layer(field), lambda x: F.coalesce(value_test(c, x), F.lit(False)))
         case All(parts):
             tests = [t for p in parts if (t := sentence_test(p, layers)) is not None]
             return _fold(tests, lambda a, b: a & b) if tests else None

@@ -129,6 +129,7 @@ def mandatory(p: Pattern) -> list[Constraint]:
 
 
 def prefilter(df: DataFrame, constraints: list[Constraint], layers: Layers) -> DataFrame:
+    """Drops sentences that lack a mandatory value. Tests other than equality are left to the coding, which makes them once for each token."""
     for c in dict.fromkeys(constraints):
         layers.check(c)
         if (test := sentence_test(c, layers)) is not None:

@@ -15,19 +15,21 @@ def _no_empty(pieces: Column) -> Column:
 def synthetic(rows: DataFrame) -> DataFrame:
     """Adds layers and the synthetic tree to rows (doc_id, sentence_idx, word): token p >= 1 hangs on (p - 1) div 2 under ``dep{p mod 4}``."""
     # Each layer comes from the words alone, so that a query computes the layers it reads and no others.
-    lemma_of = lambda t: F.regexp_replace(F.lower(t), r"[.,;:!?]+\z", "")
+    lemma_of = lambda t: F.rtrim(F.lower(t), F.lit(".,;:!?"))
     rows = rows.where(F.size("word") > 0)
 
     def tag(t: Column) -> Column:
+        # The first character decides most tokens; expressions are left to those that begin with neither digit nor letter.
+        first = F.ascii(t)
         return (
-            F.when(t.rlike(r"\A[0-9]"), "CD")
-            .when(t.rlike(r"\A[A-Z]"), "UP")
-            .when(t.rlike(r"\A[\x00-\x7F]*\z") & ~t.rlike("[A-Za-z0-9]"), "PUNCT")
-            .when(lemma_of(t).endswith("ing"), "ING")
+            F.when(first.between(48, 57), "CD")
+            .when(first.between(65, 90), "UP")
+            .when(~first.between(97, 122) & t.rlike(r"\A[\x00-\x7F]*\z") & ~t.rlike("[A-Za-z0-9]"), "PUNCT")
+            .when(F.lower(t).contains("ing") & lemma_of(t).endswith("ing"), "ING")
             .otherwise("LOW")
         )
 
-    entity = F.transform("word", lambda t, i: F.when(t.rlike(r"\A[A-Z]") & (i > 0), "B-CAP").otherwise("O"))
+    entity = F.transform("word", lambda t, i: F.when((i > 0) & F.ascii(t).between(65, 90), "B-CAP").otherwise("O"))
     n = F.size("word")
     tree = F.when(
         n > 1,

@@ -34,31 +34,59 @@ def read_checked(spark: SparkSession, paths, pattern: str = "*.json*", whole_fil
 
 
 def read_any(spark: SparkSession, path: str, pattern: str = "*.json*") -> DataFrame:
-    """Files of any of the forms, gzip by its magic bytes. Each file goes through one task as a whole, so use it for files of moderate size."""
+    """Files of any of the forms, gzip by its magic bytes. What doesn't parse is left out, see ``read_any_checked``."""
+    return read_any_checked(spark, path, pattern)[0]
+
+
+def read_any_checked(spark: SparkSession, path: str, pattern: str = "*.json*") -> tuple[DataFrame, DataFrame]:
+    """(documents, failures: path and text), of files of any of the forms. A damaged gzip file fails as a whole, its text is null.
+
+    Each file goes through one task as a whole, so use it for files of moderate size.
+    """
 
     def text_of(batches):
+        import zlib
+
         import pyarrow as pa
 
         for batch in batches:
             out = []
             for data in batch.column("content").to_pylist():
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                out.append(data.decode("utf-8", "replace"))
+                try:
+                    data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
+                    out.append(data.decode("utf-8", "replace"))
+                except (OSError, EOFError, zlib.error):
+                    out.append(None)
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(out, pa.string())], names=["path", "text"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
-    return parse_json(files.mapInArrow(text_of, "path string, text string"), "text")
+    return parse_checked(files.mapInArrow(text_of, "path string, text string"), "text")
 
 
 def parse_json(df: DataFrame, column: str) -> DataFrame:
-    """Documents in a text column: an object, an array, or lines of objects, tried in this order. What doesn't parse gives none."""
-    one, many = (F.from_json(F.col(column), t) for t in (DOCUMENT, T.ArrayType(DOCUMENT)))
-    lines = F.transform(F.filter(F.split(column, "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, DOCUMENT))
-    first = F.substring(F.ltrim(F.col(column)), 1, 1)
-    # Text after a first object would be ignored by the parser, so lines decide if there are several objects.
-    several = F.col(column).rlike(r"\}\s*\n\s*\{\s*\"id\"")
-    found = F.when(first == "[", many).when(several, lines).otherwise(F.array(one))
-    return df.select(F.explode(found).alias("d")).where("d.id is not null").select("d.*")
+    """Documents in a text column: an object, an array, or lines of objects. What doesn't parse gives none."""
+    return parse_checked(df, column)[0]
+
+
+def parse_checked(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(documents, failures) of a text column. A failure has the other columns and the text, or the line, that gave no document with an id.
+
+    A text is an array if it begins with a bracket. It is lines of objects, with keys in any order, if it has
+    several lines and one of the first two is a whole object; else it is one object over any number of lines.
+    """
+    others = [c for c in df.columns if c != column]
+    text = F.col(column)
+    lines = F.filter(F.split(text, r"\r?\n"), lambda x: F.trim(x) != "")
+    whole = lambda x: F.coalesce(F.from_json(x, DOCUMENT)["id"].isNotNull(), F.lit(False))
+    several = (F.size(lines) > 1) & (whole(F.get(lines, F.lit(0))) | whole(F.get(lines, F.lit(1))))
+    record = lambda d, source: F.struct(d.alias("d"), source.alias("source"))
+    by_line = F.transform(lines, lambda x: record(F.from_json(x, DOCUMENT), x))
+    many = F.from_json(text, T.ArrayType(DOCUMENT))
+    in_array = F.when(many.isNull(), F.array(record(F.lit(None).cast(DOCUMENT), text))).otherwise(F.transform(many, lambda d: record(d, F.to_json(d))))
+    found = F.when(F.substring(F.ltrim(text), 1, 1) == "[", in_array).when(several, by_line).otherwise(F.array(record(F.from_json(text, DOCUMENT), text)))
+    rows = df.select(*others, F.explode(found).alias("r"))
+    failed = rows.where("r.d is null or r.d.id is null").select(*others, F.col("r.source").alias(column))
+    return rows.where("r.d.id is not null").select("r.d.*"), failed
 
 
 def layer(fields: Column, name: str) -> Column:

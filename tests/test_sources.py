@@ -134,3 +134,28 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("pizza").count() == 3
+
+
+def _document(name: str, keys: list[str]) -> str:
+    parts = {"id": name, "metadata": [], "sentences": [{"numTokens": 1, "fields": [{"name": "word", "$type": "ai.lum.odinson.TokensField", "tokens": ["a"]}]}]}
+    return json.dumps({k: parts[k] for k in keys})
+
+
+def test_json_lines_with_keys_in_any_order(spark):
+    orders = [["sentences", "id", "metadata"], ["metadata", "sentences", "id"], ["id", "sentences", "metadata"]]
+    lines = [_document(f"d{i}", orders[i % 3]) for i in range(6)]
+    pretty = json.dumps(json.loads(lines[0]), indent=1).replace("d0", "p")
+    texts = ["\n".join(lines), "\r\n".join(lines[:2]).replace('"d', '"e') + "\n\n", "[" + ",\n".join(lines[3:5]).replace('"d', '"f') + "]", pretty, lines[0].replace("d0", "one")]
+    texts += ["junk\n" + lines[1].replace("d1", "after"), "nothing", "[1", None, "", "{}"]
+    good, bad = reader.parse_checked(spark.createDataFrame(list(enumerate(texts)), "n int, json string"), "json")
+    assert sorted(r.id for r in good.collect()) == sorted([f"d{i}" for i in range(6)] + ["e0", "e1", "f3", "f4", "p", "one", "after"])
+    assert sorted((r.n, r.json or "") for r in bad.collect()) == [(5, "junk"), (6, "nothing"), (7, "[1"), (8, ""), (9, ""), (10, "{}")]
+
+
+def test_damaged_files_are_reported(spark, tmp_path):
+    (tmp_path / "a.json").write_text(_document("good", ["metadata", "id", "sentences"]))
+    (tmp_path / "b.json").write_bytes(b"\x1f\x8b damaged")
+    (tmp_path / "c.json").write_text("{ broken")
+    good, bad = reader.read_any_checked(spark, str(tmp_path))
+    assert [r.id for r in good.collect()] == ["good"]
+    assert sorted((r.path.rsplit("/", 1)[1], r.text) for r in bad.collect()) == [("b.json", None), ("c.json", "{ broken")]
