@@ -60,16 +60,17 @@ def fit(
     rows = train.select(F.col(label_col).cast("string").alias("_l"), F.col(text_col).alias("_t")).where(
         "_l is not null and _t is not null"
     )
-    counts = {r["_l"]: r["n"] for r in rows.groupBy("_l").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    # Distinct texts, as copies pass the threshold together: of few distinct texts all are taken, however often they occur.
+    hashed = rows.withColumn("_h", F.xxhash64("_t", F.lit(17)))
+    counts = {r["_l"]: r["n"] for r in hashed.groupBy("_l").agg(F.approx_count_distinct("_h").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} labels")
     if not counts:
         return {}
     # Hash threshold by label: some four times the sample passes, the rest never reaches the sort.
     share = F.element_at(
-        F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4.0 * sample_texts / n))]), F.col("_l")
+        F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 4.0 * sample_texts / max(n, 1)))]), F.col("_l")
     )
-    hashed = rows.withColumn("_h", F.xxhash64("_t", F.lit(17)))
     unit = (F.shiftrightunsigned(F.col("_h"), 11) / F.lit(float(1 << 53))).cast("double")
     picked = (
         hashed.where(unit < share)

@@ -64,3 +64,14 @@ def test_real_accuracy(spark):
         got = langid.op1(spark, path).join(spark.read.parquet(f"{path}/documents.parquet").select("doc_id", "lang", "n_chars"), "doc_id")
         held = got.where("held_out and lang is not null and n_chars > 100").collect()
         assert sum(r.lang == r.lang_pred for r in held) / len(held) > 0.95
+
+
+def test_label_of_one_repeated_text(spark):
+    """A label whose rows are copies of one text is learned, whichever hash that text has."""
+    for n in range(4):
+        french = f"le petit chat numero {n} dort sur la grande chaise de la maison bleue"
+        english = [f"the quick brown fox number {i} jumps over the lazy dog and runs away" for i in range(200)]
+        rows = spark.range(5000).selectExpr(f"'{french}' as text", "'fr' as lang").unionByName(spark.createDataFrame([(t, "en") for t in english], "text string, lang string"))
+        assert sorted(langid.fit(rows)) == ["en", "fr"]
+        found = langid.Classifier(langid.fit(rows)).predict("la maison bleue du petit chat dort")
+        assert found[0] == "fr"

@@ -43,6 +43,18 @@ def test_stages(spark, folder):
     assert set(ids["mix_sources"]) <= set(ids["simhash_dedup"]) and max(map(ids["mix_sources"].count, ids["mix_sources"])) <= 2
 
 
+def test_clashing_columns(spark, folder):
+    """Columns named like those that stages add go through unchanged."""
+    path, rows = folder
+    extra = ["copies", "rows", "n_removed", "N_LINES", "component_id", "id", "_time", "_gone"]
+    docs = spark.createDataFrame([(*r, *extra) for r in rows[:30]], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, path)
+        assert out.columns == docs.columns
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    assert docs.count() and [list(r) for r in docs.select(*extra).distinct().collect()] == [extra]
+
+
 def test_run(spark, folder):
     path, _ = folder
     out = pipeline.run(spark, path)
