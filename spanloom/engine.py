@@ -11,7 +11,7 @@ from spanloom.operators import results
 from spanloom.operators.stats import corpus_stats
 from spanloom.plans.path import path_matches
 from spanloom.plans.predicate import Layers
-from spanloom.plans.symbols import MATCH, mandatory, prefilter, sequence_matches, token_matches
+from spanloom.plans.symbols import MATCH, mandatory, prefilter, sequence_matches, settle, token_matches
 from spanloom.sources.schema import KEYS, SchemaConfig, token_layers
 
 class Engine:
@@ -60,8 +60,8 @@ class Engine:
         if has_path(p):
             return path_matches(needed, p, self.layers, "matches")
         if isinstance(p, Token):
-            return token_matches(prefilter(needed, [p.constraint], self.layers), p, self.layers, "matches")
-        return sequence_matches(prefilter(needed, mandatory(p), self.layers), p, self.layers, "matches", overlap)
+            return token_matches(settle(prefilter(needed, [p.constraint], self.layers), p, self.layers), p, self.layers, "matches")
+        return sequence_matches(settle(prefilter(needed, mandatory(p), self.layers), p, self.layers), p, self.layers, "matches", overlap)
 
     def _assertion(self, p: Look) -> DataFrame:
         """A bare assertion filters sentences and has no spans: a positive one keeps those that hold its pattern."""

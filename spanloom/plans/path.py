@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from spanloom.lang.ast import Capture, Edge, EitherStep, Path, Pattern, PatternError, RepeatStep, Sequence, Stay, Step, Steps, Token, has_path, sequence
 
 from .predicate import Layers, token_test, value_test
-from .symbols import MATCH, all_starts, mandatory, materialise, prefilter, token_matches
+from .symbols import MATCH, all_starts, mandatory, materialise, prefilter, settle, token_matches
 
 _PAIRS = "array<struct<a:int,b:int>>"
 
@@ -174,7 +174,7 @@ def path_matches(df: DataFrame, p: Pattern, layers: Layers, name: str) -> DataFr
     if isinstance(p, Capture):
         label, p = p.name, p.inner
     segments, steps = flatten(p)
-    df = prefilter(df, [c for s in segments for c in mandatory(s)], layers)
+    df = settle(prefilter(df, [c for s in segments for c in mandatory(s)], layers), p, layers)
     if not all(isinstance(s, RepeatStep) and s.low == 0 or isinstance(s, Stay) for s in steps):
         df = df.where(F.size("deps") > 0)
     for step in steps:

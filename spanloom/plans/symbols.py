@@ -27,6 +27,8 @@ from spanloom.lang.ast import (
     Repeat,
     Sequence,
     Token,
+    fields_of,
+    has_path,
     is_greedy,
     walk,
 )
@@ -137,6 +139,16 @@ def prefilter(df: DataFrame, constraints: list[Constraint], layers: Layers) -> D
     return df
 
 
+def settle(df: DataFrame, p: Pattern, layers: Layers) -> DataFrame:
+    """Computes each layer that the pattern reads once a row. A derived layer would else be computed again for every token that looks a value up."""
+    used = {layers.name(f) for x in walk(p) if isinstance(x, Token) for f in fields_of(x.constraint)}
+    if "tag" in used and "pos" in layers.columns:
+        used.add("pos")
+    for name in sorted(used | {"sentence_length"} | ({"deps"} if has_path(p) else set())):
+        df = df.select(*[c for c in df.columns if c != name], F.explode(F.array(name)).alias(name))
+    return df
+
+
 def all_starts(df: DataFrame, p: Pattern, layers: Layers, name: str) -> DataFrame:
     """Adds ``name``: the preferred non-empty match of every start, in order of starts."""
     coding = Coding.of(p)
