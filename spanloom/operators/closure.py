@@ -7,6 +7,7 @@ lineage is cut by a reliable checkpoint at every level.
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,20 +25,33 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Levels held as tables of their own before they are written as one.
+_APART = 16
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _joined(parts: list[DataFrame]) -> list[DataFrame]:
+    return [_cut(_union(parts))] if len(parts) > _APART else parts
+
+
 def distances(starts: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """(key, source, node, distance): fewest edges from each start token to each node it reaches, itself at 0."""
     frontier = _cut(starts.select(*KEY, F.col("position").cast("int").alias("source"), F.col("position").cast("int").alias("node")).distinct())
-    seen = frontier.withColumn("distance", F.lit(0))
+    # Each level is written once; what was seen before is the union of the levels.
+    parts = [frontier.withColumn("distance", F.lit(0))]
     steps = edges.select(*KEY, F.col("src").alias("node"), F.col("dst").alias("next")).distinct()
     level = 0
     while most is None or level < most:
         level += 1
         reached = frontier.join(steps, [*KEY, "node"]).select(*KEY, "source", F.col("next").alias("node")).distinct()
-        frontier = _cut(reached.join(seen.select(*KEY, "source", "node"), [*KEY, "source", "node"], "left_anti"))
+        frontier = _cut(reached.join(_union(parts).select(*KEY, "source", "node"), [*KEY, "source", "node"], "left_anti"))
         if frontier.isEmpty():
             break
-        seen = _cut(seen.unionByName(frontier.withColumn("distance", F.lit(level))))
-    return seen
+        parts = _joined([*parts, frontier.withColumn("distance", F.lit(level))])
+    return _union(parts)
 
 
 def reachable(starts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -56,7 +70,7 @@ def shortest_path(starts: DataFrame, targets: DataFrame, edges: DataFrame) -> Da
     levels = distances(starts, edges)
     wanted = targets.select(*KEY, F.col("position").cast("int").alias("node"))
     open_ = _cut(levels.join(wanted, [*KEY, "node"]).select(*KEY, "source", "node", "distance", F.array("node").alias("path"), F.col("node").alias("head")))
-    done = open_.where("distance = 0")
+    parts = [open_.where("distance = 0")]
     back = edges.select(*KEY, F.col("src").alias("before"), F.col("dst").alias("head")).distinct()
     near = levels.select(*KEY, "source", F.col("node").alias("before"), F.col("distance").alias("_d"))
     level = 0
@@ -68,5 +82,5 @@ def shortest_path(starts: DataFrame, targets: DataFrame, edges: DataFrame) -> Da
         stepped = more.join(back, [*KEY, "head"]).join(near, [*KEY, "source", "before"]).where(F.col("_d") == F.col("distance") - F.size("path"))
         best = stepped.groupBy(*KEY, "source", "node", "distance", "path").agg(F.min("before").alias("head"))
         open_ = _cut(best.withColumn("path", F.concat(F.array("head"), "path")))
-        done = _cut(done.unionByName(open_.where(F.size("path") == F.col("distance") + 1)))
-    return done.select(*KEY, "source", "node", "path")
+        parts = _joined([*parts, open_.where(F.size("path") == F.col("distance") + 1)])
+    return _union(parts).select(*KEY, "source", "node", "path")

@@ -16,7 +16,8 @@ def synthetic(rows: DataFrame) -> DataFrame:
     """Adds layers and the synthetic tree to rows (doc_id, sentence_idx, word): token p >= 1 hangs on (p - 1) div 2 under ``dep{p mod 4}``."""
     # Each layer comes from the words alone, so that a query computes the layers it reads and no others.
     lemma_of = lambda t: F.rtrim(F.lower(t), F.lit(".,;:!?"))
-    rows = rows.where(F.size("word") > 0)
+    # The words once a row: every layer is made from them, and a filter on a layer would cut the line again.
+    rows = rows.select("doc_id", "sentence_idx", F.explode(F.array("word")).alias("word")).where(F.size("word") > 0)
 
     def tag(t: Column) -> Column:
         # The first character decides most tokens; expressions are left to those that begin with neither digit nor letter.
