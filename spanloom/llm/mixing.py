@@ -145,7 +145,8 @@ def mix(
     laid = laid.withColumn("_b1", F.floor(F.col("_begin") / F.col("_block")).cast("long"))
     # A line that ends on a block's edge has no block there: the last word's block serves.
     laid = laid.withColumn("_b2", F.when(F.col("size") > 0, F.floor((F.col("_end") - 1) / F.col("_block"))).otherwise(F.col("_b1")).cast("long"))
-    taken = laid.join(first, ["_sid", "_shard", "_b1"], "left").join(last, ["_sid", "_shard", "_b2"], "left")
+    # Blocks grow with the corpus, so they are never broadcast.
+    taken = laid.join(first.hint("merge"), ["_sid", "_shard", "_b1"], "left").join(last.hint("merge"), ["_sid", "_shard", "_b2"], "left")
     upto = lambda p, t, at, b: F.col(p) + F.col(t) * (F.col(at) - F.col(b) * F.col("_block"))
     amount = F.when(F.col("size") > 0, upto("_p2", "_t2", "_end", "_b2") - upto("_p1", "_t1", "_begin", "_b1")).otherwise(F.lit(0))
     # Whole copies: the share rounded by a seeded draw, so that its expectation is kept.
