@@ -28,3 +28,12 @@ def test_captured_token_of_a_path_is_a_place(spark):
     hits = e.hits("(?<o> (?<h> a)) >x (?<t> b)")
     assert "regexp" not in plan(hits)
     assert captured(hits) == [(s, n, s + k, s + k + 1) for s in (0, 2) for n, k in (("c0", 0), ("c1", 1), ("h", 0), ("o", 0), ("t", 1))]
+
+
+def test_chained_steps_compute_each_step_once(spark):
+    """graph_concat: the second step's pairs, and the places it begins at, were computed for every edge."""
+    n = 1200
+    chain = [(i, i + 1, "xy"[i % 2]) for i in range(n - 1)]
+    began = time.time()
+    found = results.match_rows(long_sentence(spark, ["a"] * n, chain).hits("a >x>y a")).count()
+    assert found == (n - 1) // 2 and time.time() - began < 60
