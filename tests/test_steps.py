@@ -37,3 +37,19 @@ def test_chained_steps_compute_each_step_once(spark):
     began = time.time()
     found = results.match_rows(long_sentence(spark, ["a"] * n, chain).hits("a >x>y a")).count()
     assert found == (n - 1) // 2 and time.time() - began < 60
+
+
+def test_captures_do_not_copy_the_rest_of_the_sentence(spark):
+    """capture_single and all captures outside repetitions."""
+    e = long_sentence(spark, list("abcabdb"))
+    for query, wanted in {
+        "(?<v> (?<w> a))": [(0, "v", 0, 1), (0, "w", 0, 1), (3, "v", 3, 4), (3, "w", 3, 4)],
+        "a (?<x> b) (?<y> c)": [(0, "x", 1, 2), (0, "y", 2, 3)],
+        "a []*? (?<y> [word=c | word=d])": [(0, "y", 2, 3), (3, "y", 5, 6)],
+        "(?<x> a b?) (?<y> c | d b) ": [(0, "x", 0, 2), (0, "y", 2, 3), (3, "x", 3, 5), (3, "y", 5, 7)],
+        "(a (?<p> b) | (?<q> b) (?<r> c?)) (?<z> [])": [(0, "p", 1, 2), (0, "z", 2, 3), (1, "q", 1, 2), (1, "r", 2, 3), (1, "z", 3, 4), (3, "p", 4, 5), (3, "z", 5, 6), (4, "q", 4, 5), (4, "z", 5, 6)],
+        "(?<= (?<h> a)) b (?= (?<k> []))": [(1, "h", 0, 1), (1, "k", 2, 3), (4, "h", 3, 4), (4, "k", 5, 6)],
+    }.items():
+        hits = e.hits(query, "per_start")
+        assert captured(hits) == wanted, query
+        assert ("[\\s\\S]*" in plan(hits)) == ("?<=" in query), query
