@@ -53,3 +53,19 @@ def test_captures_do_not_copy_the_rest_of_the_sentence(spark):
         hits = e.hits(query, "per_start")
         assert captured(hits) == wanted, query
         assert ("[\\s\\S]*" in plan(hits)) == ("?<=" in query), query
+
+
+def test_many_greedy_matches_of_a_long_sentence(spark):
+    """seq_noun_phrase, seq_rep_plus: each span was held against all spans kept before."""
+    n = 12_000
+    began = time.time()
+    found = results.match_rows(long_sentence(spark, ["a", "b"] * (n // 2)).hits("a+")).count()
+    assert found == n // 2 and time.time() - began < 60
+
+
+def test_longer_span_drops_several_kept(spark):
+    e = long_sentence(spark, list("abcabcdefg"))
+    spans = lambda q: sorted((r.start, r.end) for r in results.match_rows(e.hits(q)).collect())
+    assert spans("(a b | b c | c [] [] [] []*)") == [(0, 2), (2, 10)]
+    assert spans("(a b | b c | c a b) []{0,0}") == [(0, 2), (2, 5)]
+    assert spans("(a b | b c) []{0,0}") == [(0, 2), (1, 3), (3, 5), (4, 6)]
