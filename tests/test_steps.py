@@ -2,6 +2,8 @@
 
 import time
 
+from pyspark.sql import functions as F
+
 from spanloom.engine import Engine
 from spanloom.operators import results
 from spanloom.sources import adapters
@@ -69,3 +71,22 @@ def test_longer_span_drops_several_kept(spark):
     assert spans("(a b | b c | c [] [] [] []*)") == [(0, 2), (2, 10)]
     assert spans("(a b | b c | c a b) []{0,0}") == [(0, 2), (2, 5)]
     assert spans("(a b | b c) []{0,0}") == [(0, 2), (1, 3), (3, 5), (4, 6)]
+
+
+def test_derived_layers_are_computed_once_a_row(spark, tmp_path):
+    """The tag was computed again for every test of a sentence."""
+    spark.createDataFrame([(1, "The cat sings\nand Bob is running, 3 Gg !! éing")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    s = adapters.documents(spark, str(tmp_path))
+    hits = Engine(s).hits("[tag=UP] >dep1 [tag=ING]")
+    assert plan(hits).split("FileScan")[0].count("PUNCT") == 1
+    assert [(r.tag, r.entity, r.lemma) for r in s.orderBy("sentence_idx").collect()] == [
+        (["UP", "LOW", "LOW"], ["O"] * 3, ["the", "cat", "sings"]),
+        (["LOW", "UP", "LOW", "ING", "CD", "UP", "PUNCT", "ING"], ["O", "B-CAP", "O", "O", "O", "B-CAP", "O", "O"], ["and", "bob", "is", "running", "3", "gg", "", "éing"]),
+    ]
+    assert s.orderBy("sentence_idx").collect()[1].deps[2] == (1, 3, "dep3")
+
+
+def test_one_row_group_is_dealt_over_the_cores(spark, tmp_path):
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.sha2(F.concat_ws("_", "doc_id", i), 256)))
+    spark.range(64).select(F.col("id").alias("doc_id")).withColumn("text", text).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert adapters.documents(spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() > 1
