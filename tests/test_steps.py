@@ -1,11 +1,12 @@
 """Steps of queries that must not grow faster than a sentence, or be done more than once."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
 
 from spanloom.engine import Engine
-from spanloom.operators import results
+from spanloom.operators import closure, results
 from spanloom.sources import adapters
 
 DEPS = "array<struct<src:int,dst:int,label:string>>"
@@ -90,3 +91,37 @@ def test_one_row_group_is_dealt_over_the_cores(spark, tmp_path):
     text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.sha2(F.concat_ws("_", "doc_id", i), 256)))
     spark.range(64).select(F.col("id").alias("doc_id")).withColumn("text", text).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
     assert adapters.documents(spark, str(tmp_path)).select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_searches_in_one_shuffle(spark):
+    """graph_shortest, graph_has_path: each level was a job over all edges, which were made anew. Random graphs against plain search."""
+    rng, graphs = random.Random(3), {}
+    for g in range(30):
+        n = rng.randint(1, 8)
+        graphs[f"d{g}"] = n, [(rng.randrange(n), rng.randrange(n)) for _ in range(rng.randint(0, 14))]
+    key = "doc_id string, sentence_id string, sentence_idx int"
+    tokens = spark.createDataFrame([(d, d, 0, p) for d, (n, _) in graphs.items() for p in range(n)], f"{key}, position int")
+    edges = spark.createDataFrame([(d, d, 0, a, b) for d, (_, e) in graphs.items() for a, b in e], f"{key}, src int, dst int")
+    wanted = {}
+    for d, (n, e) in graphs.items():
+        for s in range(n):
+            level, paths = [s], {s: [s]}
+            while level:
+                steps = sorted((b, a) for a, b in e if a in level and b not in paths)
+                fresh = {}
+                for b, a in steps:
+                    fresh.setdefault(b, paths[a] + [b])
+                paths |= fresh
+                level = list(fresh)
+            wanted |= {(d, s, t): p for t, p in paths.items()}
+    starts, targets = tokens.where("position % 2 = 0"), tokens.where("position > 1")
+    got = {(r.doc_id, r.source, r.node): r.distance for r in closure.distances(starts, edges).collect()}
+    assert got == {k: len(p) - 1 for k, p in wanted.items() if k[1] % 2 == 0}
+    got = {(r.doc_id, r.source, r.node): r.path for r in closure.shortest_path(starts, targets, edges).collect()}
+    assert got == {k: p for k, p in wanted.items() if k[1] % 2 == 0 and k[2] > 1}
+    assert {(r.doc_id, r.source, r.node) for r in closure.has_path(starts, targets, edges).collect()} == set(got)
+    got = {(r.doc_id, r.source, r.node) for r in closure.distances(starts, edges, 1).collect()}
+    assert got == {k for k, p in wanted.items() if k[1] % 2 == 0 and len(p) <= 2}
+    spark.sparkContext.setJobGroup("searches", "")
+    closure.shortest_path(starts, targets, edges)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("searches")
