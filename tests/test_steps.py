@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from spanloom.engine import Engine
 from spanloom.operators import closure, results
-from spanloom.sources import adapters
+from spanloom.plans import catalog
+from spanloom.sources import adapters, views
 
 DEPS = "array<struct<src:int,dst:int,label:string>>"
 
@@ -125,3 +126,13 @@ def test_searches_in_one_shuffle(spark):
     spark.sparkContext.setJobGroup("searches", "")
     closure.shortest_path(starts, targets, edges)
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup("searches")
+
+
+def test_token_rows_read_the_layers_asked_for(spark, tmp_path):
+    """rel_hop, rel_gap_lazy, rel_adjacent: rows of words alone computed every token's tag too, rows of tags carried the words."""
+    spark.createDataFrame([(1, "the cat of the sea"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = catalog.QUERIES["rel_gap_lazy"](spark, str(tmp_path))
+    assert "PUNCT" not in plan(rows) and "arrays_zip" not in plan(rows)
+    assert [(r.match_start, r.match_end) for r in rows.collect()] == [(0, 3)]
+    rows = views.tokens(adapters.documents(spark, str(tmp_path)), ["tag"])
+    assert rows.columns == ["doc_id", "sentence_id", "sentence_idx", "position", "tag"] and rows.count() == 5
